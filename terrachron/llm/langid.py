@@ -50,7 +50,7 @@ def train(docs: DataFrame, *, sample_docs: int = 64, dict_bytes: int = 96 << 10)
 
 
 class Model:
-    def __init__(self, learned: dict[str, bytes], level: int = 3):
+    def __init__(self, learned: dict[str, bytes], level: int = 6):
         self.langs = sorted(learned)
         self.z = []
         for lang in self.langs:

@@ -27,6 +27,19 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(probe)))
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gif import payload_gifs
+
+    return payload_gifs(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -39,6 +52,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -47,6 +66,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_bpe, op6_token_counts, op8_token_files)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_chat_format, op3_gif, op4_toxicity, op5_bpe,
+        op6_token_counts, op7_decontamination, op8_token_files, op9_minhash, op10_substring,
+    )
+}
 
 ORACLES: dict[str, str] = {}
