@@ -57,7 +57,7 @@ def signatures(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     best = np.full(n * SLOTS, np.inf)
     time, k = np.zeros(len(h)), 0
     while len(h):
-        step = np.uint64(k + 1)
+        step = np.array([k + 1], np.uint64)
         u = mixed(h + STEP_A * step)
         time = time - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         at = doc * SLOTS + (mixed(h ^ (STEP_B * step)) % np.uint64(SLOTS)).astype(np.int64)
