@@ -9,12 +9,16 @@ probability Jaccard similarity of their multisets. Slots are banded, and pairs
 from a band's bucket are verified by exact weighted Jaccard, 0.8 or more.
 
 Classes are the connected components of the verified links. A bucket never has
-all its pairs compared: its members are held against its least document, then
-(in buckets that still have several components) against single members of the
-largest one, and only then are the pairs compared which lie in different
-components and which the triangle inequality of the Jaccard distance, through
-the bucket's first centre, does not rule out. What is left out is a pair within
-one class, or a pair that cannot be similar, so the classes lose no link.
+all its pairs compared. Its members are held against its least document first.
+In buckets that still have several components, shingles that only one document
+has bound what it can share with any other; documents that cannot reach the
+similarity with any size in the bucket leave it. The others are held against the
+most central member of the largest component (the one with the least share of
+shingles of its own), and at last those pairs are compared which lie in
+different components and which neither that bound nor the triangle inequality of
+the Jaccard distance, through the bucket's first centre, rules out. What is left
+out is a pair within one class, or a pair that cannot be similar, so the classes
+lose no link.
 
 Defined results: rows of the same words are copies, of similarity 1; null texts
 and texts without a word resemble nothing and are each a class of their own; the
@@ -34,11 +38,12 @@ from pyspark.sql import functions as F
 from .common import SIMILARITY, counted_jaccard, mixed, shingle_hashes, small_batches, word_hashes, written
 from .components import components
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 STEP_A, STEP_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 FEW_PAIRS = 20_000
+SMALL_IDS = 100_000  # ids that are broadcast at most, 8 bytes each
 
 
 def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +118,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, f"node {key}, grams binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) -> a, b, similarity."""
+def verify(pairs: DataFrame, sets: DataFrame, *, small: bool = False) -> DataFrame:
+    """pairs(a, b) -> a, b, similarity. small: the pairs' ids are few enough to broadcast."""
     key = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
@@ -127,14 +132,44 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append(counted_jaccard(*left, *counted(np.frombuffer(y.as_py(), np.uint64))))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
+    if small:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = written(sets.join(F.broadcast(nodes), "node", "left_semi"), "minhash-few-sets")
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
     with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
     return with_both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, f"a {key}, b {key}, similarity double")
 
 
+def own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(node, component) -> node, n (shingles), own (those that no listed document of another component has, with repetitions)."""
+    key = sets.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for node, component, g in zip(b.column("node"), b.column("component"), b.column("grams")):
+                k, c = counted(np.frombuffer(g.as_py(), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(k), b.column("node").type), pa.array([component.as_py()] * len(k), b.column("node").type), pa.array(k.view(np.int64)), pa.array(c.astype(np.int32))], ["node", "component", "gram", "times"])
+
+    grams = sets.join(nodes, "node").select("node", "component", "grams").mapInArrow(run, f"node {key}, component {key}, gram bigint, times int").repartition("gram")
+    lone = grams.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 = c1").select("gram")
+    own = grams.join(lone, "gram").groupBy("node").agg(F.sum("times").alias("own"))
+    sized = sets.select("node", (F.length("grams") / 8).cast("long").alias("n")).join(nodes, "node", "left_semi")
+    return written(sized.join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "minhash-own")
+
+
+def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Open entries, with n and own, less those whose document can't be similar to one of another component in its bucket, whatever that one's size."""
+    told = own_shingles(sets, open_.select("node", "component").distinct())
+    sized = open_.drop("n", "own").join(told, "node")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    most_shared = F.col("n") - F.col("own")
+    able = most_shared * (1 + similarity) >= similarity * (F.col("n") + F.greatest("least_n", most_shared)) - 1e-6
+    return written(sized.join(least, "bucket").filter(able).drop("least_n"), "minhash-open")
+
+
 def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
     """entries(bucket, node) -> verified links (a, b), and (node, component) of the nodes that have one. None if no bucket has two documents."""
-    entries = written(entries.distinct(), "minhash-entries")
+    entries = entries.repartition("bucket")  # dealt once, for the aggregation and the join
     shared = entries.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first")
     # buckets of two documents or more; `first` is the bucket's first centre
     full = written(entries.join(shared, "bucket"), "minhash-buckets")
@@ -147,28 +182,33 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
     found = told.filter(F.col("similarity") >= similarity).select("a", "b")
     groups = components(found)
     to_first = told.select(F.col("a").alias("first"), F.col("b").alias("node"), F.col("similarity").alias("to_first"))
-    full = full.join(to_first, ["first", "node"], "left").select("bucket", "node", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("to_first")).alias("to_first"))
+    open_ = still_open(full.join(to_first, ["first", "node"], "left").select("bucket", "node", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("to_first")).alias("to_first")), groups)
+    if open_.isEmpty():
+        return found, groups
 
+    open_ = within_reach(open_, sets, similarity)
     for round_ in range(STAR_ROUNDS + 1):
-        at = full.join(groups, "node", "left").select("bucket", "node", "to_first", F.coalesce("component", "node").alias("component"))
-        mixed_buckets = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket")
-        open_ = written(at.join(mixed_buckets, "bucket"), "minhash-open")
+        open_ = still_open(open_.drop("component"), groups)
         if open_.isEmpty():
             break
         sizes = open_.groupBy("bucket", "component").count()
-        most = sizes.groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"), F.max_by("component", F.struct("count", "component")).alias("largest"))
-        apart = most.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0]
+        most = sizes.groupBy("bucket").agg(F.sum("count").alias("all_n"), F.sum(F.col("count") * F.col("count")).alias("nn"), F.max_by("component", F.struct("count", "component")).alias("largest"))
+        most = written(most, "minhash-sizes")
+        apart = most.agg(F.sum((F.col("all_n") * F.col("all_n") - F.col("nn")) / 2)).first()[0]
         final = round_ == STAR_ROUNDS or apart <= FEW_PAIRS
         if final:
-            left, right = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "to_first", "component"))) for s in "ab")
-            near = left.join(right, "bucket").filter((F.col("component_a") < F.col("component_b")) & (F.abs(F.col("to_first_a") - F.col("to_first_b")) <= 1 - similarity + 1e-9))
-            tried = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            if apart > FEW_PAIRS:
+                open_ = within_reach(open_, sets, similarity)
+            left, right = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "to_first", "component", "n", "own"))) for s in "ab")
+            shared_at_most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+            near = (F.col("component_a") < F.col("component_b")) & (F.abs(F.col("to_first_a") - F.col("to_first_b")) <= 1 - similarity + 1e-9) & (shared_at_most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6)
+            tried = left.join(right.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         else:
-            chosen = open_.join(most.select("bucket", F.col("largest").alias("component")), ["bucket", "component"]).groupBy("bucket", "component").agg(F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("centre"))
-            near = open_.join(chosen.withColumnRenamed("component", "largest"), "bucket").filter("component <> largest")
-            tried = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-        tried = tried.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(verify(tried, sets), "minhash-verified")
+            central = F.struct(F.col("own") / F.col("n"), F.xxhash64("node")) if round_ % 2 == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(round_)))
+            chosen = open_.join(most.select("bucket", F.col("largest").alias("component")), ["bucket", "component"]).groupBy("bucket", "component").agg(F.min_by("node", central).alias("centre"))
+            tried = open_.join(chosen.withColumnRenamed("component", "largest"), "bucket").filter("component <> largest").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+        tried = written(tried.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
+        more = written(verify(tried, sets, small=2 * tried.count() <= SMALL_IDS), "minhash-verified")
         told = told.union(more)
         new = more.filter(F.col("similarity") >= similarity).select("a", "b")
         if not new.isEmpty():
@@ -179,6 +219,13 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
     return found, groups
 
 
+def still_open(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of the buckets that have more than one component, with their component."""
+    at = entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket")
+    return written(at.join(several, "bucket"), "minhash-open")
+
+
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept (it is the document of its class that stays) of every document."""
     small_batches(docs.sparkSession)
