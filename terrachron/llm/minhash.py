@@ -115,7 +115,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.sort(shingle_hashes(word_hashes(t.as_py()))).tobytes() for t in b.column("text")], pa.binary())], ["node", "grams"])
 
-    return docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, f"node {key}, grams binary")
+    # the list grows with the documents, so it is never broadcast
+    listed = nodes.select(F.col("node").alias("doc_id")).hint("merge")
+    return docs.select("doc_id", "text").join(listed, "doc_id", "left_semi").mapInArrow(run, f"node {key}, grams binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, *, small: bool = False) -> DataFrame:
@@ -169,7 +171,8 @@ def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
     """entries(bucket, node) -> verified links (a, b), and (node, component) of the nodes that have one. None if no bucket has two documents."""
-    entries = entries.repartition("bucket")  # dealt once, for the aggregation and the join
+    # dealt once, for the aggregation and the join; the filter is what the join would push below
+    entries = entries.filter("bucket is not null and node is not null").repartition("bucket")
     shared = entries.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first")
     # buckets of two documents or more; `first` is the bucket's first centre
     full = written(entries.join(shared, "bucket"), "minhash-buckets")
