@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from terrachron.plans.catalog import ORACLES, QUERIES
+from terrachron.plans.edges import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
