@@ -1,6 +1,7 @@
 """Token ids in binary files (operator 8).
 
-Method: a zstandard dictionary trained on serialized id arrays is shared by all
+Ids are those of the tokenizers library, which sees each pre-token once while it
+stays in a worker's bounded cache. A zstandard dictionary trained on serialized id arrays is shared by all
 documents, and each document is a frame of its own. A file row ("shard") holds
 the frames of neighbouring documents, the sha256 of the dictionary that they
 need, and an offset index (document, place of its frame, place of its first id
@@ -18,6 +19,8 @@ table gives no rows; further columns have no effect.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 
 import numpy as np
@@ -27,12 +30,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoded
-from .common import small_batches, tokenizer_path
+from .bpe import PRETOKEN, chunks_of, normal
+from .common import file_stamp, small_batches, tokenizer_path
 
 SHARD_BYTES = 2 << 20
 SHARD_DOCS = 2048
 INDEX = np.dtype([("at", "<u8"), ("size", "<u8"), ("start", "<u8")])
+CACHE_ENTRIES = 600_000  # of chunks, and of pre-tokens; some 200 bytes each
+
+
+class LibraryIds(dict):
+    """Chunk between white space, normalized -> its ids as 32-bit little-endian bytes, by the tokenizers library.
+
+    Chunks are independent, and so are the pre-tokens within one; each pre-token's last id is that of an end of word.
+    Pre-tokens that no entry covers are sent to the library together, apart by spaces, and told from each other by
+    those ends. Special strings are cut out of the text beforehand, as the library does before it normalizes.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        end = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or ""
+        if not end:
+            raise ValueError(f"{path} has no end of word")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith(end)]] = True
+        self.special = {t.content: k.to_bytes(4, "little") for k, t in self.library.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.words: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        found = {c: PRETOKEN.findall(c) for c in chunks}
+        words = self.words
+        new = list({w for ws in found.values() for w in ws if w not in words})
+        if new:
+            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(new) + 1 or cuts[-1] != 4 * len(ids):
+                raise ValueError("the library's ids do not part by ends of words")
+            raw = ids.tobytes()
+            words.update((w, raw[a:b]) for w, a, b in zip(new, cuts, cuts[1:]))
+        self.update((c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in found.items())
+
+    def of(self, text: str | None) -> bytes:
+        """Ids of a whole text; null counts as empty."""
+        out = []
+        for k, part in enumerate(self.split.split(text or "") if self.split else [text or ""]):
+            if k % 2:
+                out.append(self.special[part])
+            elif part:
+                chunks = chunks_of(normal(part))
+                try:
+                    out.append(b"".join(map(self.__getitem__, chunks)))
+                except KeyError:
+                    self.learn({c for c in chunks if c not in self})
+                    out.append(b"".join(map(self.__getitem__, chunks)))
+        for cache in (self, self.words):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+        return b"".join(out)
+
+
+_LOADED: dict[str, LibraryIds] = {}
+
+
+def library_ids(path: str) -> LibraryIds:
+    key = file_stamp(path)
+    if key not in _LOADED:
+        _LOADED[key] = LibraryIds(path)
+    return _LOADED[key]
 
 
 def train_dictionary(docs: DataFrame, path: str, *, sample_docs: int = 1000, dict_bytes: int = 64 << 10, end_id: int = 1) -> bytes:
@@ -41,7 +111,7 @@ def train_dictionary(docs: DataFrame, path: str, *, sample_docs: int = 1000, dic
     ids = [r[0] for r in drawn.collect()]
     texts = [r[0] for r in docs.filter(F.col("doc_id").isin([x for x in ids if x is not None])).select(F.coalesce("text", F.lit(""))).limit(2 * sample_docs).collect()] if ids else []
     end = end_id.to_bytes(4, "little")
-    samples = [raw[k : k + 4096] for t in texts for raw in [encoded(t, path)[2] + end] for k in range(0, len(raw), 4096)]
+    samples = [raw[k : k + 4096] for t in texts for raw in [library_ids(path).of(t) + end] for k in range(0, len(raw), 4096)]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
     except zstandard.ZstdError:
@@ -67,11 +137,11 @@ def write_token_files(docs: DataFrame, out: str, *, path: str | None = None, end
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([ids - first], pa.int64()), pa.array([name]), pa.array([keys], pa.list_(kind)), pa.array([np.array(index, INDEX).tobytes()], pa.binary()), pa.array([b"".join(frames)], pa.binary())], ["part", "shard", "first_id", "n_ids", "dict_sha256", "doc_ids", "index", "frames"])
 
-        kind = None
+        kind, ids_of = None, library_ids(path).of
         for b in batches:
             kind = b.column("doc_id").type
             for doc, text in zip(b.column("doc_id"), b.column("text")):
-                raw = encoded(text.as_py(), path)[2] + end
+                raw = ids_of(text.as_py()) + end
                 frame = z.compress(raw)
                 keys.append(doc.as_py())
                 index.append((at, len(frame), ids - first))
