@@ -42,6 +42,7 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 STEP_A, STEP_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 STAR_ROUNDS = 3
+STAR_GAIN = 0.1  # a round of stars that takes away less than this share of the pairs still apart is the last
 FEW_PAIRS = 20_000
 SMALL_IDS = 100_000  # ids that are broadcast at most, 8 bytes each
 
@@ -189,7 +190,7 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
     if open_.isEmpty():
         return found, groups
 
-    open_ = within_reach(open_, sets, similarity)
+    open_, before = within_reach(open_, sets, similarity), float("inf")
     for round_ in range(STAR_ROUNDS + 1):
         open_ = still_open(open_.drop("component"), groups)
         if open_.isEmpty():
@@ -198,7 +199,8 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
         most = sizes.groupBy("bucket").agg(F.sum("count").alias("all_n"), F.sum(F.col("count") * F.col("count")).alias("nn"), F.max_by("component", F.struct("count", "component")).alias("largest"))
         most = written(most, "minhash-sizes")
         apart = most.agg(F.sum((F.col("all_n") * F.col("all_n") - F.col("nn")) / 2)).first()[0]
-        final = round_ == STAR_ROUNDS or apart <= FEW_PAIRS
+        final = round_ == STAR_ROUNDS or apart <= FEW_PAIRS or apart > (1 - STAR_GAIN) * before
+        before = apart
         if final:
             if apart > FEW_PAIRS:
                 open_ = within_reach(open_, sets, similarity)
