@@ -16,7 +16,8 @@ similarity with any size in the bucket leave it. The others are held against the
 most central member of the largest component (the one with the least share of
 shingles of its own), and at last those pairs are compared which lie in
 different components and which neither that bound nor the triangle inequality of
-the Jaccard distance, through the bucket's first centre, rules out. What is left
+the Jaccard distance, through the bucket's first centre, rules out, each in the
+least bucket that both are open in. What is left
 out is a pair within one class, or a pair that cannot be similar, so the classes
 lose no link.
 
@@ -204,10 +205,13 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
         if final:
             if apart > FEW_PAIRS:
                 open_ = within_reach(open_, sets, similarity)
-            left, right = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "to_first", "component", "n", "own"))) for s in "ab")
+            # a pair is drawn in the least bucket that both are open in; where that one rules it out, no other need be asked
+            at = written(open_.join(open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node"), "minhash-final")
+            left, right = (at.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "to_first", "component", "n", "own", "buckets"))) for s in "ab")
+            once = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
             shared_at_most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
             near = (F.col("component_a") < F.col("component_b")) & (F.abs(F.col("to_first_a") - F.col("to_first_b")) <= 1 - similarity + 1e-9) & (shared_at_most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6)
-            tried = left.join(right.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            tried = left.join(right.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & near & once).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         else:
             central = F.struct(F.col("own") / F.col("n"), F.xxhash64("node")) if round_ % 2 == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(round_)))
             chosen = open_.join(most.select("bucket", F.col("largest").alias("component")), ["bucket", "component"]).groupBy("bucket", "component").agg(F.min_by("node", central).alias("centre"))
