@@ -144,11 +144,28 @@ class Chunks(dict):
 
     def __init__(self, merges: Merges):
         self.merges = merges
+        self.words: dict[str, tuple] = {}  # of pre-tokens
+
+    def word(self, piece: str):
+        found = self.words.get(piece)
+        if found is None:
+            m = self.merges
+            found = packed(m, m.tree(m.symbols(piece)))
+            if len(piece) <= 64:
+                if len(self.words) >= CACHE_ENTRIES:
+                    self.words.clear()
+                self.words[piece] = found
+        return found
 
     def __missing__(self, chunk: str):
-        m = self.merges
-        tokens = [t for p in PRETOKEN.findall(chunk) for t in m.tree(m.symbols(p))]
-        found = packed(m, tokens)
+        parts = [self.word(p) for p in PRETOKEN.findall(chunk)]
+        if len(parts) == 1:
+            found = parts[0]
+        elif parts:
+            ids, tokens, raw, n = zip(*parts)
+            found = " ".join(ids), " ".join(tokens), b"".join(raw), sum(n)
+        else:
+            found = packed(self.merges, [])
         if len(chunk) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -185,7 +202,13 @@ def chunks_of(text: str) -> list[str]:
 def pieces(text: str, path: str) -> Iterator[tuple]:
     """Packed results of a text's chunks and special strings, in order."""
     m, cache = loaded(path)
-    for k, part in enumerate(m.split_special.split(text) if m.split_special and "<|" in text else [text]):
+    if not (m.split_special and "<|" in text):
+        return map(cache.__getitem__, chunks_of(normal(text)))
+    return special_pieces(text, m, cache)
+
+
+def special_pieces(text: str, m: Merges, cache: Chunks) -> Iterator[tuple]:
+    for k, part in enumerate(m.split_special.split(text)):
         if k % 2:
             yield str(m.special[part]), part, m.special[part].to_bytes(4, "little"), 1
         elif part:
@@ -194,13 +217,17 @@ def pieces(text: str, path: str) -> Iterator[tuple]:
 
 def encoded(text: str | None, path: str) -> tuple[str, str, bytes]:
     """Ids joined by a space, decoded text, ids as bytes."""
-    got = [p for p in pieces(text or "", path) if p[3]]
-    if not got:
-        return "", "", b""
-    ids, tokens, raw, _ = zip(*got)
+    ids, tokens, raw, _ = columns(text, path)
     return " ".join(ids), " ".join(tokens), b"".join(raw)
 
 
+def columns(text: str | None, path: str) -> tuple[tuple, tuple, tuple, tuple]:
+    """Packed results of a text's chunks, less those without a token, by column."""
+    got = list(pieces(text or "", path))
+    found = tuple(zip(*got)) or ((), (), (), ())
+    return tuple(zip(*(p for p in got if p[3]))) or ((), (), (), ()) if 0 in found[3] else found
+
+
 def encode(text: str | None, path: str | None = None) -> list[int]:
     """Ids of a text."""
     import numpy as np
@@ -303,8 +330,8 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, segment_chars:
         for b in batches:
             got = []
             for t in b.column("text"):
-                ids, tokens, raw = encoded(t.as_py(), path)
-                got.append((ids, tokens, len(raw) // 4))
+                ids, tokens, _, n = columns(t.as_py(), path)
+                got.append((" ".join(ids), " ".join(tokens), sum(n)))
             yield rows(b.column("doc_id"), got)
 
     def cut(batches):
