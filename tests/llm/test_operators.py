@@ -323,3 +323,22 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in entry.queries()) == 1
     assert "pipeline" in entry.queries()
+
+
+def passage_words(seed):
+    rng = random.Random(seed)
+    return lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+def passages_of(spark, texts):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    return [tuple(r) for r in substring.repeated_passages(df).select("doc_id", "first_word", "end_word", "source_id").collect()]
+
+
+def test_passages_are_told_at_each_place(spark):
+    new = passage_words(8)
+    p = new(80)
+    found = passages_of(spark, [new(50) + p + new(50), new(100) + p + new(500) + p + new(10), p[:60] + new(300)])
+    for at in (100, 680):
+        assert any(d == 1 and a <= at + 3 and b >= at + 77 for d, a, b, _ in found)
+    assert any(d == 2 and a <= 3 and b >= 57 for d, a, b, _ in found)
