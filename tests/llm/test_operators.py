@@ -342,3 +342,14 @@ def test_passages_are_told_at_each_place(spark):
     for at in (100, 680):
         assert any(d == 1 and a <= at + 3 and b >= at + 77 for d, a, b, _ in found)
     assert any(d == 2 and a <= 3 and b >= 57 for d, a, b, _ in found)
+
+
+def test_passages_with_inserted_words(spark):
+    new = passage_words(9)
+    p, q = new(80), new(200)
+    texts = [new(200) + p + new(200), new(150) + p[:40] + new(8) + p[40:] + new(150), new(100) + q[:160] + new(30) + q[160:] + new(100), new(100) + q + new(100)]
+    found = passages_of(spark, texts)
+    assert any(d == 1 and a <= 153 and b >= 235 for d, a, b, _ in found)
+    assert any(d == 3 and a <= 103 and b >= 297 for d, a, b, _ in found)
+    # what differs beside a passage isn't part of it
+    assert all(a >= {1: 150, 3: 100}[d] and b <= {1: 238, 3: 300}[d] for d, a, b, _ in found)
