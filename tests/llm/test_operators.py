@@ -353,3 +353,15 @@ def test_passages_with_inserted_words(spark):
     assert any(d == 3 and a <= 103 and b >= 297 for d, a, b, _ in found)
     # what differs beside a passage isn't part of it
     assert all(a >= {1: 150, 3: 100}[d] and b <= {1: 238, 3: 300}[d] for d, a, b, _ in found)
+
+
+def test_passages_are_held_against_all_holders(spark):
+    new = passage_words(10)
+    p = new(50)
+    changed = lambda k: [*p[:k], *new(1), *p[k + 1 :]]
+    for many in (0, 30):  # of documents that share no more than a line with the passage
+        lines = [new(60) + p[12:48] + new(60) for _ in range(many)]
+        middle = [new(30) + t + new(30) for t in (changed(10), changed(40), p, changed(25))]
+        found = passages_of(spark, [*lines, *middle])
+        assert {(d - many, s - many) for d, _, _, s in found if d == many + 2} and (3, 2) in {(d - many, s - many) for d, _, _, s in found}
+        assert all(d >= many for d, *_ in found)
