@@ -36,6 +36,7 @@ NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Fixed value: the split pattern named in the vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LETTERS = re.compile("[A-Za-z]{40}")
+WORD = regex.compile(r"\p{L}*")
 LEAF = 64
 CACHE_ENTRIES = 250_000
 
@@ -266,20 +267,23 @@ def segments(text: str, size: int) -> list[tuple[str, bool]]:
 
 
 def open_encoded(text: str, opens: bool, goes_on: bool, path: str) -> tuple[list[str], list[str], list[str]]:
-    """Tokens of a segment: head (continues the word before it), body, tail (goes on in the next). A segment within one word is all tail."""
-    m, _ = loaded(path)
-    head_text, tail_text, body = "", "", text
-    if goes_on:
-        k = re.search("[A-Za-z]*$", body).start()
-        body, tail_text = body[:k], body[k:]
+    """Tokens of a segment: head (continues the word before it), body, tail (goes on in the next). A segment within one word is all tail. Head and tail are the whole of the pre-token that is cut: cuts stand between 20 letters on either side, so it is a run of letters, and no contraction."""
+    m, cache = loaded(path)
+    parts = m.split_special.split(text) if m.split_special else [text]  # every second one is a special string
+    parts[::2] = map(normal, parts[::2])
+    head_text = tail_text = ""
     if opens:
-        k = re.match("[A-Za-z]*", body).end() if body else 0
-        head_text, body = body[:k], body[k:]
-    mid = [t for p in pieces(body, path) for t in p[1].split(" ") if t]
-    lone = opens and goes_on and not body and not head_text
-    head = m.tree(m.symbols(head_text.lower())) if head_text else []
-    tail = m.tree(m.symbols(tail_text.lower(), ends=False)) if tail_text else []
-    return head, ([] if lone else mid), tail
+        head_text = WORD.match(parts[0])[0]
+        parts[0] = parts[0][len(head_text) :]
+    if goes_on and not any(parts):
+        head_text, tail_text = "", head_text
+    elif goes_on:
+        tail_text = PRETOKEN.findall(chunks_of(parts[-1])[-1])[-1]
+        parts[-1] = parts[-1][: -len(tail_text)]
+    body = [t for k, p in enumerate(parts) for t in ([p] if k % 2 else [t for c in chunks_of(p) for t in cache[c][1].split(" ") if t])]
+    head = m.tree(m.symbols(head_text)) if head_text else []
+    tail = m.tree(m.symbols(tail_text, ends=False)) if tail_text else []
+    return head, body, tail
 
 
 def joined(parts: list[tuple[list[str], list[str], list[str], bool, bool]], path: str) -> list[str]:

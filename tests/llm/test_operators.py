@@ -365,3 +365,14 @@ def test_passages_are_held_against_all_holders(spark):
         found = passages_of(spark, [*lines, *middle])
         assert {(d - many, s - many) for d, _, _, s in found if d == many + 2} and (3, 2) in {(d - many, s - many) for d, _, _, s in found}
         assert all(d >= many for d, *_ in found)
+
+
+def test_bpe_cuts_within_unspaced_mixed_text(spark):
+    a = "abtinther" * 8000
+    texts = ["é" + a, "é" + a, "x's" + a, a + "é" + a, a + "'s" + a, a + "'LL" + a + "ñ's", a + "<|endoftext|>'s" + a, "1É" + a + "İ" + a, a + "!'re" + a, a, "日本" + a + " don't"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = library(BPE)
+    want = [(d, hashlib.sha256(" ".join(map(str, lib.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()) for d, t in enumerate(texts)]
+    for size in (65_536, 500):
+        got = bpe.encode_documents(df, segment_chars=size)
+        assert sorted((r["doc_id"], r["ids_sha256"]) for r in got.collect()) == want
