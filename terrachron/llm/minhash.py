@@ -45,6 +45,7 @@ STEP_A, STEP_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 STAR_ROUNDS = 3
 STAR_GAIN = 0.1  # a round of stars that takes away less than this share of the pairs still apart is the last
 FEW_PAIRS = 20_000
+HOT_KEYS = 1024  # keys that are broadcast at most
 SMALL_IDS = 100_000  # ids that are broadcast at most, 8 bytes each
 
 
@@ -154,30 +155,49 @@ def own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 k, c = counted(np.frombuffer(g.as_py(), np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(k), b.column("node").type), pa.array([component.as_py()] * len(k), b.column("node").type), pa.array(k.view(np.int64)), pa.array(c.astype(np.int32))], ["node", "component", "gram", "times"])
 
-    grams = sets.join(nodes, "node").select("node", "component", "grams").mapInArrow(run, f"node {key}, component {key}, gram bigint, times int").repartition("gram")
-    lone = grams.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 = c1").select("gram")
-    own = grams.join(lone, "gram").groupBy("node").agg(F.sum("times").alias("own"))
+    grams = written(sets.join(nodes, "node").select("node", "component", "grams").mapInArrow(run, f"node {key}, component {key}, gram bigint, times int"), "minhash-grams")
+    lone = written(grams.groupBy("gram").agg(F.count("*").alias("entries"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 = c1").select("gram", "entries"), "minhash-lone")
+    own = joined(grams, lone, "gram").groupBy("node").agg(F.sum("times").alias("own"))
     sized = sets.select("node", (F.length("grams") / 8).cast("long").alias("n")).join(nodes, "node", "left_semi")
     return written(sized.join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "minhash-own")
 
 
+def joined(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows with what per_key(key, entries, ...) tells of their key; rows of other keys go. `entries` is the number of rows of a key. Keys with a HOT_KEYS-th of all entries or more, so at most HOT_KEYS of them, are broadcast, as their rows would meet in one task; the others are never broadcast."""
+    total = per_key.agg(F.sum("entries")).first()[0] or 0
+    hot = F.col("entries") * HOT_KEYS >= total
+    frequent = per_key.filter(hot)
+    rest = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(per_key.filter(~hot).hint("merge"), key)
+    return rows.join(F.broadcast(frequent), key).unionByName(rest).drop("entries")
+
+
+def by_node(entries: DataFrame) -> DataFrame:
+    """node, places (bucket and similarity to its first centre), and the node's own columns: one row a node, at most BANDS places."""
+    own = [c for c in entries.columns if c not in ("node", "bucket", "to_first")]
+    return entries.groupBy("node").agg(F.collect_list(F.struct("bucket", "to_first")).alias("places"), *(F.min(c).alias(c) for c in own))
+
+
+def by_place(nodes: DataFrame) -> DataFrame:
+    """The entries again."""
+    return nodes.select(*(c for c in nodes.columns if c != "places"), F.inline("places"))
+
+
 def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Open entries, with n and own, less those whose document can't be similar to one of another component in its bucket, whatever that one's size."""
     told = own_shingles(sets, open_.select("node", "component").distinct())
-    sized = open_.drop("n", "own").join(told, "node")
-    least = sized.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    sized = written(by_place(by_node(open_.drop("n", "own")).join(told, "node")), "minhash-sized")
+    least = written(sized.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("n").alias("least_n")), "minhash-least")
     most_shared = F.col("n") - F.col("own")
     able = most_shared * (1 + similarity) >= similarity * (F.col("n") + F.greatest("least_n", most_shared)) - 1e-6
-    return written(sized.join(least, "bucket").filter(able).drop("least_n"), "minhash-open")
+    return written(joined(sized, least, "bucket").filter(able).drop("least_n"), "minhash-open")
 
 
 def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
     """entries(bucket, node) -> verified links (a, b), and (node, component) of the nodes that have one. None if no bucket has two documents."""
-    # dealt once, for the aggregation and the join; the filter is what the join would push below
-    entries = entries.filter("bucket is not null and node is not null").repartition("bucket")
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first")
+    entries = entries.filter("bucket is not null and node is not null")
     # buckets of two documents or more; `first` is the bucket's first centre
-    full = written(entries.join(shared, "bucket"), "minhash-buckets")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last")
+    full = written(joined(entries, written(shared, "minhash-shared"), "bucket"), "minhash-buckets")
     pairs = written(full.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs")
     if pairs.isEmpty():
         return None, None
@@ -196,26 +216,25 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
         open_ = still_open(open_.drop("component"), groups)
         if open_.isEmpty():
             break
-        sizes = open_.groupBy("bucket", "component").count()
-        most = sizes.groupBy("bucket").agg(F.sum("count").alias("all_n"), F.sum(F.col("count") * F.col("count")).alias("nn"), F.max_by("component", F.struct("count", "component")).alias("largest"))
-        most = written(most, "minhash-sizes")
-        apart = most.agg(F.sum((F.col("all_n") * F.col("all_n") - F.col("nn")) / 2)).first()[0]
+        central = F.struct(F.col("own") / F.col("n"), F.xxhash64("node")) if round_ % 2 == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(round_)))
+        sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("count"), F.min_by("node", central).alias("centre"))
+        most = sizes.groupBy("bucket").agg(F.sum("count").alias("entries"), F.sum(F.col("count") * F.col("count")).alias("nn"), F.max_by(F.struct("component", "centre"), F.struct("count", "component")).alias("top"))
+        most = written(most.select("bucket", "entries", "nn", F.col("top.component").alias("largest"), "top.centre"), "minhash-sizes")
+        apart = most.agg(F.sum((F.col("entries") * F.col("entries") - F.col("nn")) / 2)).first()[0]
         final = round_ == STAR_ROUNDS or apart <= FEW_PAIRS or apart > (1 - STAR_GAIN) * before
         before = apart
         if final:
             if apart > FEW_PAIRS:
                 open_ = within_reach(open_, sets, similarity)
             # a pair is drawn in the least bucket that both are open in; where that one rules it out, no other need be asked
-            at = written(open_.join(open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node"), "minhash-final")
+            at = written(by_place(by_node(open_).withColumn("buckets", F.col("places.bucket"))), "minhash-final")
             left, right = (at.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "to_first", "component", "n", "own", "buckets"))) for s in "ab")
             once = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
             shared_at_most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
             near = (F.col("component_a") < F.col("component_b")) & (F.abs(F.col("to_first_a") - F.col("to_first_b")) <= 1 - similarity + 1e-9) & (shared_at_most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6)
             tried = left.join(right.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & near & once).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         else:
-            central = F.struct(F.col("own") / F.col("n"), F.xxhash64("node")) if round_ % 2 == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(round_)))
-            chosen = open_.join(most.select("bucket", F.col("largest").alias("component")), ["bucket", "component"]).groupBy("bucket", "component").agg(F.min_by("node", central).alias("centre"))
-            tried = open_.join(chosen.withColumnRenamed("component", "largest"), "bucket").filter("component <> largest").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+            tried = joined(open_, most.drop("nn"), "bucket").filter("component <> largest").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
         tried = written(tried.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
         more = written(verify(tried, sets, small=2 * tried.count() <= SMALL_IDS), "minhash-verified")
         told = told.union(more)
@@ -230,9 +249,10 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
 
 def still_open(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """Entries of the buckets that have more than one component, with their component."""
-    at = entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket")
-    return written(at.join(several, "bucket"), "minhash-open")
+    at = by_node(entries).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at = written(by_place(at), "minhash-at")
+    several = at.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket", "entries")
+    return written(joined(at, written(several, "minhash-several"), "bucket"), "minhash-open")
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
@@ -243,6 +263,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     copies = signed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     copies = written(copies, "minhash-copies")
     firsts = signed.join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
+    firsts = written(firsts.select("doc_id", "bands"), "minhash-firsts")
     entries = firsts.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     _, groups = links(source, entries, similarity)
     own = signed.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
