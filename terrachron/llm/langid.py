@@ -11,14 +11,16 @@ prediction covers every whole text.
 
 Defined results: null texts and texts without a letter give `und`, score 0; so
 do all rows if there is nothing to learn from. Equal sizes go to the language
-first in the alphabet. Further columns, repeated rows and rows with null lang
-have no effect on other rows.
+first in the alphabet. Further columns and rows with null lang have no effect on
+other rows; nor have rows without doc_id, which are not learned from. Repeated
+rows of a doc_id and language are learned from once, by their least text. A letter is a
+character of Unicode's letter categories, so a fraction sign is none. A dictionary holds the
+beginnings of its sample's texts, `dict_bytes` in all.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
 import zstandard
@@ -27,19 +29,18 @@ from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 4096
 
 
 def train(docs: DataFrame, *, sample_docs: int = 64, dict_bytes: int = 96 << 10) -> dict[str, bytes]:
     """Language -> dictionary. The sample takes, of each language, the document with the least hash in each of sample_docs buckets."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}"))
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}"))
     drawn = rows.select("lang", F.xxhash64("doc_id").alias("h")).groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("bucket")).agg(F.min("h").alias("h"))
     hashes = [r[0] for r in drawn.select("h").distinct().collect()]
     if not hashes:
         return {}
     texts: dict[str, list[tuple[int, bytes]]] = {}
-    for h, lang, text in rows.filter(F.xxhash64("doc_id").isin(hashes)).select(F.xxhash64("doc_id"), "lang", F.substring("text", 1, dict_bytes)).collect():
+    for h, lang, text in rows.filter(F.xxhash64("doc_id").isin(hashes)).groupBy(F.xxhash64("doc_id"), "lang").agg(F.min(F.substring("text", 1, dict_bytes))).collect():
         texts.setdefault(lang, []).append((h, text.lower().encode("utf-8", "surrogatepass")))
     out = {}
     for lang, found in sorted(texts.items()):
@@ -65,7 +66,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, margin (how much larger the second is, as a share of the least)."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         sizes = self.sizes(text)
         best = min(sizes)
