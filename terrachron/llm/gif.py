@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 WIDTH, ROWS = 64, 256
+MOST_PIXELS = 1 << 24  # of a canvas or frame; larger ones give the error, as memory is taken by what a file declares
 DELAY_CS = 4
 _SINGLE = [bytes([k]) for k in range(256)]
 
@@ -208,6 +209,8 @@ def decode_gif(raw: bytes) -> tuple[int, int, list[Frame]]:
     if raw[:6] not in (b"GIF87a", b"GIF89a") or len(raw) < 13:
         raise ValueError("no GIF header")
     width, height, flags = struct.unpack("<HHB", raw[6:11])
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"canvas of {width} x {height}")
     shared, at = palette(raw, 13, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
     frames, now = [], 0
@@ -226,6 +229,8 @@ def decode_gif(raw: bytes) -> tuple[int, int, list[Frame]]:
         if kind != 0x2C or at + 10 > len(raw):
             raise ValueError(f"unknown block {kind:#x} at {at}")
         left, top, w, h, flags = struct.unpack("<HHHHB", raw[at + 1 : at + 10])
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"frame of {w} x {h}")
         own, at = palette(raw, at + 10, flags)
         colours = own if own is not None else shared if shared is not None else np.zeros((256, 3), np.uint8)
         if at >= len(raw) or not 1 <= raw[at] <= 8:
