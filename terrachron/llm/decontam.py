@@ -16,7 +16,8 @@ bounded; each further block is a further pass over the documents.
 
 Defined results: null and empty texts, and items without a word, match nothing;
 items of fewer than five words match where their words stand one after another;
-equal best windows: the first; repeated rows give repeated results; further
+equal best windows: the first; repeated rows give repeated results, and each row
+is kept or dropped by its own text, whatever its doc_id, null included; further
 columns have no effect; an empty table gives no rows.
 """
 
@@ -125,6 +126,19 @@ class Items:
         return found
 
 
+def blocks_of(benchmark: DataFrame, block_items: int, block_chars: int):
+    """Lists of (item_id, text), one at least; items without a text are left out."""
+    block, chars, any_ = [], 0, False
+    for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
+        block.append((r[0], r[1]))
+        chars += len(r[1])
+        if len(block) >= block_items or chars >= block_chars:
+            yield block
+            block, chars, any_ = [], 0, True
+    if block or not any_:
+        yield block
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = 20_000, block_chars: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word for each item that a document holds."""
     spark = docs.sparkSession
@@ -145,19 +159,28 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
 
         return source.mapInArrow(run, schema)
 
-    found, block, chars = None, [], 0
-    for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        chars += len(r[1])
-        if len(block) >= block_items or chars >= block_chars:
-            found = against(block) if found is None else found.unionByName(against(block))
-            block, chars = [], 0
-    if block or found is None:
+    found = None
+    for block in blocks_of(benchmark, block_items, block_chars):
         found = against(block) if found is None else found.unionByName(against(block))
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = find_items(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = 20_000, block_chars: int = 8 << 20) -> DataFrame:
+    """The rows whose text holds no benchmark item, with all their columns. No shuffle: each row is judged where it is."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = docs.schema
+
+    def without(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Items(items, radius, similarity))
+
+        def run(batches):
+            index = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not index.find(t.as_py()) for t in b.column("text")], pa.bool_()))
+
+        return rows.mapInArrow(run, schema)
+
+    for block in blocks_of(benchmark, block_items, block_chars):
+        docs = without(docs, block)
+    return docs
