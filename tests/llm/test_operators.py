@@ -376,3 +376,48 @@ def test_bpe_cuts_within_unspaced_mixed_text(spark):
     for size in (65_536, 500):
         got = bpe.encode_documents(df, segment_chars=size)
         assert sorted((r["doc_id"], r["ids_sha256"]) for r in got.collect()) == want
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_by_themselves(spark):
+    item = " ".join(passage_words(5)(30))
+    clean = " ".join(passage_words(6)(30))
+    df = spark.createDataFrame([(None, item, 1), (None, clean, 2), (7, clean, 3), (7, "x " + item, 4), (8, None, 5)], "doc_id long, text string, keep int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["keep"] for r in decontam.decontaminate(df, bench).collect()} == {2, 3, 5}
+    rows = [(k, "good plain words here" + (" vile scum" if k % 4 == 0 else "") + f" n{k}") for k in range(400)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int"))
+    asked = spark.createDataFrame([(None, "vile scum", 1), (None, "good words", 2), (9, "vile scum", 3), (9, "good words", 4), (None, None, 5)], "doc_id long, text string, keep int")
+    assert {r["keep"] for r in toxicity.without_toxic(asked, model).collect()} == {2, 4, 5}
+    assert toxicity.without_toxic(asked, None).count() == 5
+
+
+def test_passages_are_cut_only_where_they_were_found(spark):
+    word = passage_words(11)
+    passage, short = word(80), word(30)
+    rows = [(1, " ".join(word(20) + passage + word(20)), "a"), (2, " ".join(word(20) + passage + word(40)), "b"), (2, " ".join(short), "c"), (None, " ".join(passage), "d")]
+    out = {r["_spans"]: r["text"] for r in substring.remove_passages(spark.createDataFrame(rows, "doc_id long, text string, _spans string")).collect()}
+    assert out["a"] == rows[0][1] and out["c"] == rows[2][1] and out["d"] == rows[3][1]
+    assert len(out["b"].split()) == 60
+
+
+def test_gif_that_declares_too_much_gives_an_error(spark):
+    raw = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    (row,) = gif.frames_table(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, gif binary"), keep=("doc_id",)).collect()
+    assert row["error"] and row["rgba"] is None
+
+
+def test_language_needs_a_letter_and_learns_without_null_ids(spark):
+    rows = [(k, ("der hund und die katze " if k % 2 else "the dog and the cat ") * 20, "de" if k % 2 else "en") for k in range(60)]
+    rows += [(None, "???? zzz " * 30, "en")] * 50 + [(900, "½ ² ①", "en"), (901, "и", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_language(df).collect() if r["doc_id"] is not None}
+    assert got[900] == "und" and got[901] != "und" and all(got[k] == ("de" if k % 2 else "en") for k in range(60))
+    assert not any(b"zzz" in d for d in langid.train(df).values())
+
+
+def test_one_hot_bucket_gives_the_same_classes(spark, monkeypatch):
+    rows = near_copies(random.Random(8))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
+    monkeypatch.setattr(minhash, "HOT_KEYS", 0)  # nothing is frequent
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()} == want
