@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 STATE_CODES = {"A": "0", "NA": "1", "SLD": "2", "SRC": "3", "PA": "4", "None": "9"}
 OTHER_STATE = "5"
 #: Land uses that are on offer.
-USES = ("AG", "CA", "CF", "CI", "CS", "CV", "ED", "EP", "FF", "FL", "FO", "FS", "FV", "FY", "IM", "IV", "OC", "OF", "OV", "PA", "PR", "PS", "TA", "TH", "VF", "VI", "VO", "ZC", "ZU", "ZV", "EE", "OP", "MT", "BI")
+USES = ("AG", "CA", "CI", "CO", "ED", "FO", "FY", "IM", "IV", "OF", "OV", "PA", "PR", "PS", "TA", "TH", "VF", "VI", "VO", "ZC", "ZU", "ZV", "FS", "FL", "FV", "IS", "OC", "CV", "CF", "CS", "FF", "EP", "MT", "OP")
 DEFAULT_USES = ("PS", "PA", "PR", "FY", "OV", "VI")
 PASTURE = ("PR", "PS", "PA")
 ORCHARD_RANGES = ((104, 113), (200, 218), (300, 349))
@@ -64,13 +64,21 @@ def use_chronology(uses: Column) -> Column:
     return F.array_join(uses, "_", "NU")
 
 
-def incidence_chronology(incidences: Column) -> Column:
+def incidence_chronology(incidences: Column, present: Column | None = None) -> Column:
+    """Incidences of the years; 0 where a year has no declaration. `present` tells, year by year, which have one: those without an incidence are None."""
+    if present is not None:
+        incidences = F.zip_with(incidences, present, lambda i, p: F.when(p, F.coalesce(i, F.lit("None"))))
     return F.array_join(incidences, "_", "0")
 
 
+def chosen_uses(uses: tuple[str, ...]) -> tuple[str, ...]:
+    """TODOS stands for all land uses."""
+    return USES if "TODOS" in uses else uses
+
+
 def matches_use(chronology: Column, uses: tuple[str, ...]) -> Column:
     """Whether a use chronology holds one of the uses; none given: all do."""
-    return chronology.rlike("|".join(uses)) if uses else F.lit(True)
+    return chronology.rlike("|".join(chosen_uses(uses))) if uses else F.lit(True)
 
 
 def angle_flag(angles: Column, threshold: float = 0.4) -> Column:

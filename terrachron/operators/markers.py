@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -86,20 +87,20 @@ def markers(series: DataFrame, key: str = "id", *, thresholds: Thresholds = Thre
     return flagged.select(key, "angles", "cycle", "flag", stability_class(F.col("cycle"), F.col("flag")).alias("status"))
 
 
-def sigma_clip(values: DataFrame, column: str, sigma: float, *, most_rounds: int = 100) -> tuple[float | None, float | None, int]:
+def sigma_clip(values: DataFrame, column: str, sigma: float) -> tuple[float | None, float | None, int]:
     """Mean, population deviation and rounds after dropping, again and again, what is not strictly within sigma deviations of the mean. Each round is one aggregation; only three numbers reach the driver."""
     v = F.col(column).cast("double")
     kept = values.select(v.alias("v")).filter("v is not null and not isnan(v)").persist()
     try:
-        return _clipped(kept, sigma, most_rounds)
+        return _clipped(kept, sigma)
     finally:
         kept.unpersist()
 
 
-def _clipped(kept: DataFrame, sigma: float, most_rounds: int) -> tuple[float | None, float | None, int]:
+def _clipped(kept: DataFrame, sigma: float) -> tuple[float | None, float | None, int]:
     mean, dev, n = kept.agg(F.avg("v"), F.stddev_pop("v"), F.count("v")).first()
     lo, hi = -math.inf, math.inf
-    for round_ in range(1, most_rounds + 1):
+    for round_ in itertools.count(1):  # every round but the last drops a value, so it ends
         if not n:
             return None, None, round_
         lo, hi = max(lo, mean - sigma * dev), min(hi, mean + sigma * dev)
@@ -107,7 +108,6 @@ def _clipped(kept: DataFrame, sigma: float, most_rounds: int) -> tuple[float | N
         if n2 == n:
             return mean2, dev2, round_
         mean, dev, n = mean2, dev2, n2
-    return mean, dev, most_rounds
 
 
 def calibrate(pairs: DataFrame, intervals: DataFrame) -> Thresholds:

@@ -22,8 +22,9 @@ def grids(series: DataFrame, key: str, step: int = STEP_DAYS) -> DataFrame:
 
 
 def aligned(series: DataFrame, key: str, values: list[str], *, floors: dict[str, float] | None = None) -> DataFrame:
-    """Values on the grid: absent steps are 0, days off the grid are dropped, and values under their floor count as absent."""
-    out = grids(series, key).join(series.select(key, "ts", *values), [key, "ts"], "left")
+    """Values on the grid: absent steps are 0, days off the grid are dropped, and values under their floor count as absent. Of several rows of a day the first counts, in the order of the values, nulls first."""
+    once = series.groupBy(key, "ts").agg(F.min(F.struct(*values)).alias("_row")).select(key, "ts", "_row.*")
+    out = grids(series, key).join(once, [key, "ts"], "left")
     kept = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values}
     for v, least in (floors or {}).items():
         kept[v] = F.when(kept[v] < least, 0.0).otherwise(kept[v])

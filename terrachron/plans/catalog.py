@@ -204,22 +204,22 @@ def items(spark, sf):
     return st.table(spark, sf, "orders").selectExpr("o_orderpriority as tile", "cast(o_custkey % 3 as int) as orbit", "to_date(o_orderdate) as ts")
 
 
-_FIRST = "f as (select tile, min(ts) f0 from items where orbit = 1 and ts between date '1996-01-01' and date '1997-12-31' and day(ts) % 3 = 0 group by tile), g0 as (select tile, case when f0 - date '1996-01-01' > 5 then f0 - cast(5 * ((f0 - date '1996-01-01') // 5) as integer) else f0 end g from f)"
+_CUSTOMER_DAYS = "items as (select o_custkey tile, cast(o_orderdate as date) ts from orders), f as (select tile, min(ts) f0 from items where ts between date '1996-01-01' and date '1997-12-31' group by tile), g0 as (select tile, f0, case when f0 - date '1996-01-01' > 5 then f0 - cast(5 * ((f0 - date '1996-01-01') // 5) as integer) else f0 end g from f)"
 
 
-def sparse_items(spark, sf):
-    return items(spark, sf).filter("orbit = 1 and day(ts) % 3 = 0")
+def customer_days(spark, sf):
+    return st.table(spark, sf, "orders").selectExpr("o_custkey as tile", "to_date(o_orderdate) as ts")
 
 
-@query(f"with {ITEMS}, {_FIRST} select tile, f0 as first, g as grid_start from f join g0 using (tile)")
-def grid_phase(spark, sf):
-    first = sparse_items(spark, sf).filter("ts between date'1996-01-01' and date'1997-12-31'").groupBy("tile").agg(F.min("ts").alias("first"))
+@query(f"with {_CUSTOMER_DAYS} select tile, f0 as first, g as grid_start from g0")
+def customer_grid_phase(spark, sf):
+    first = customer_days(spark, sf).filter("ts between date'1996-01-01' and date'1997-12-31'").groupBy("tile").agg(F.min("ts").alias("first"))
     return first.select("tile", "first", tg.grid_start(F.col("first"), F.lit("1996-01-01").cast("date")).alias("grid_start"))
 
 
-@query(f"with {ITEMS}, {_FIRST}, d as (select tile, cast(unnest(range(g, date '1998-01-01', interval 5 day)) as date) ts from g0) select tile, ts from d where not exists (select 1 from items i where i.tile = d.tile and i.ts = d.ts and orbit = 1 and day(i.ts) % 3 = 0)")
-def missing_dates(spark, sf):
-    return tg.missing_dates(sparse_items(spark, sf), "tile", "1996-01-01", "1997-12-31")
+@query(f"with {_CUSTOMER_DAYS}, d as (select tile, cast(unnest(range(g, date '1998-01-01', interval 5 day)) as date) ts from g0) select tile, ts from d where not exists (select 1 from items i where i.tile = d.tile and i.ts = d.ts)")
+def customer_missing_dates(spark, sf):
+    return tg.missing_dates(customer_days(spark, sf), "tile", "1996-01-01", "1997-12-31")
 
 
 @query("with p as (select date '2020-01-01' lo, date '2022-01-23' hi union all select date '2022-01-24', date '2023-12-31'), s as (select hi, cast(unnest(range(lo, hi + 1, interval 41 day)) as date) \"first\" from p) select \"first\", least(\"first\" + 40, hi) as \"last\" from s")
@@ -227,9 +227,9 @@ def batch_ranges(spark, sf):
     return tg.batches(spark, "2020-01-01", "2023-12-31", 40, "2022-01-24")
 
 
-@query("with r as (select event_type id, cast(ts as date) d, floor(value * 100) v from events where user_id % 5 <> 0), f as (select id, min(d) lo, max(d) hi from r group by id), s as (select id, lo, cast(unnest(range(0, (hi - lo) // 5 + 1)) as integer) pos from f), a as (select r.id, cast((d - lo) // 5 as integer) pos, avg(v) v from r join f using (id) group by 1, 2) select s.id, s.pos, lo + 5 * s.pos ts, floor(v * 10000.0::double + 0.5) / 10000.0::double v from s left join a on a.id = s.id and a.pos = s.pos")
-def resample_5d(spark, sf):
-    rows = st.table(spark, sf, "events").filter("user_id % 5 <> 0").select(F.col("event_type").alias("id"), F.to_date("ts").alias("ts"), F.floor(F.col("value") * 100).alias("v"))
+@query("with r as (select user_id id, cast(ts as date) d, floor(value * 100) v from events), f as (select id, min(d) lo, max(d) hi from r group by id), s as (select id, lo, cast(unnest(range(0, (hi - lo) // 5 + 1)) as integer) pos from f), a as (select r.id, cast((d - lo) // 5 as integer) pos, avg(v) v from r join f using (id) group by 1, 2) select s.id, s.pos, lo + 5 * s.pos ts, floor(v * 10000.0::double + 0.5) / 10000.0::double v from s left join a on a.id = s.id and a.pos = s.pos")
+def resample_users_5d(spark, sf):
+    rows = st.table(spark, sf, "events").select(F.col("user_id").alias("id"), F.to_date("ts").alias("ts"), F.floor(F.col("value") * 100).alias("v"))
     return tg.resampled(rows, "id", ["v"]).select("id", "pos", "ts", rounded("v").alias("v"))
 
 
@@ -371,6 +371,12 @@ def crono_strings(spark, sf):
     return y.select("parcel", codes.state_chronology(F.col("v.state")).alias("a_crono"), codes.product_chronology(F.col("v.product")).alias("p_crono"), codes.use_chronology(F.col("v.use")).alias("u_crono"), codes.incidence_chronology(F.col("v.incidence")).alias("i_crono"))
 
 
+@query(f"""with {_YEARLY} select parcel, string_agg(case when px is null then '0' else coalesce(incidence, 'None') end, '_' order by "year") i_crono from yearly group by parcel""")
+def incidence_strings(spark, sf):
+    y = yearly(spark, sf)
+    return y.select("parcel", codes.incidence_chronology(F.col("v.incidence"), F.transform("v", lambda v: v["px"].isNotNull())).alias("i_crono"))
+
+
 @query(f'with {_YEARLY} select parcel, first(px order by "year") filter (where px is not null) first_id from yearly group by parcel')
 def first_nonnull_id(spark, sf):
     return yearly(spark, sf).select("parcel", F.get(F.filter("v.px", lambda x: x.isNotNull()), F.lit(0)).alias("first_id"))
@@ -474,13 +480,13 @@ def bbox(spark, sf):
 
 # edges and set operations
 
-@query("select row_number() over (order by p_brand, p_type, p_partkey) n, concat('{\"file\":\"', p_brand, '\",\"band_index\":', row_number() over (partition by p_brand order by p_type, p_partkey), '}') layout from part where p_size <= 5")
-def layout_json(spark, sf):
-    p = st.table(spark, sf, "part").filter("p_size <= 5").select("p_brand", "p_type", "p_partkey")
-    # numbers within a file by a window, files' offsets from their counts: no single-partition sort
+@query("select row_number() over (order by p_brand, p_type, p_partkey) n, concat('{\"file\":\"', p_brand, '\",\"band_index\":', row_number() over (partition by p_brand order by p_type, p_partkey), '}') layout from part")
+def part_layout_json(spark, sf):
+    p = st.table(spark, sf, "part").select("p_brand", "p_type", "p_partkey")
+    # numbers within a file by a window, files' offsets from the few files' counts: no single-partition sort of rows
     inner = p.withColumn("band_index", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type", "p_partkey")))
     counts = p.groupBy("p_brand").count()
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.p_brand") < F.col("a.p_brand"), "left").groupBy("a.p_brand").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    before = counts.select("p_brand", (F.sum("count").over(Window.orderBy("p_brand")) - F.col("count")).alias("before"))
     return inner.join(before, "p_brand").select((F.col("before") + F.col("band_index")).alias("n"), F.to_json(F.struct(F.col("p_brand").alias("file"), "band_index")).alias("layout"))
 
 
@@ -496,20 +502,20 @@ def union_all_concat(spark, sf):
     return o.filter("o_orderstatus = 'F'").select("id", "ts").unionByName(o.filter("o_orderpriority = '1-URGENT'").select("id", "ts"))
 
 
-def _days(spark, sf):
-    o = st.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("ts"), "o_custkey")
-    return o.filter("o_custkey % 97 = 1").select("ts"), o.filter("o_custkey % 89 = 1").select("ts")
+def _status_days(spark, sf, *statuses):
+    o = st.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("ts"), "o_orderstatus")
+    return [o.filter(F.col("o_orderstatus") == s).select("ts") for s in statuses]
 
 
-@query("select cast(o_orderdate as date) ts from orders where o_custkey % 97 = 1 except select cast(o_orderdate as date) from orders where o_custkey % 89 = 1")
-def except_dates(spark, sf):
-    a, b = _days(spark, sf)
+@query("select cast(o_orderdate as date) ts from orders where o_orderstatus = 'F' except select cast(o_orderdate as date) from orders where o_orderstatus = 'P'")
+def except_status_dates(spark, sf):
+    a, b = _status_days(spark, sf, "F", "P")
     return a.subtract(b)
 
 
-@query("select cast(o_orderdate as date) ts from orders where o_custkey % 97 = 1 intersect select cast(o_orderdate as date) from orders where o_custkey % 89 = 1")
-def intersect_dates(spark, sf):
-    a, b = _days(spark, sf)
+@query("select cast(o_orderdate as date) ts from orders where o_orderstatus = 'F' intersect select cast(o_orderdate as date) from orders where o_orderstatus = 'P'")
+def intersect_status_dates(spark, sf):
+    a, b = _status_days(spark, sf, "F", "P")
     return a.intersect(b)
 
 

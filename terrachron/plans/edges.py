@@ -31,9 +31,9 @@ def polygon_clip(spark, sf):
     return p.select("id", pg.measures("part")["area"].alias("area"))
 
 
-@query("select p_brand file, p_partkey band_index, row_number() over (order by p_brand, p_partkey) stack_index from part where p_size <= 5")
-def stack_layout(spark, sf):
-    return sinks.stacked(st.table(spark, sf, "part").filter("p_size <= 5").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("band_index")))
+@query("select p_brand file, p_partkey band_index, row_number() over (order by p_brand, p_partkey) stack_index from part")
+def part_stack_layout(spark, sf):
+    return sinks.stacked(st.table(spark, sf, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("band_index")))
 
 
 _REGIONS = "provinces(number, region) as (values " + ", ".join("({}, '{}')".format(*(lambda w: (w[0], w[2]))(line.split())) for line in TABLE.strip().splitlines()) + ")"

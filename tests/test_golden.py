@@ -113,3 +113,19 @@ def test_unknown_index():
 def test_grid_keeps_phase(spark):
     got = spark.range(1).select(timegrid.grid_start(F.lit("2020-01-20").cast("date"), F.lit("2020-01-01").cast("date"))).first()[0]
     assert got == dt.date(2020, 1, 5)
+
+
+def test_repeated_days_count_once(spark):
+    import datetime
+
+    from terrachron.operators import timegrid
+
+    day = datetime.date(2020, 1, 1)
+    rows = spark.createDataFrame([("a", day, 5.0), ("a", day, 3.0), ("a", datetime.date(2020, 1, 6), 7.0)], "id string, ts date, v double")
+    assert [(r["pos"], r["v"]) for r in timegrid.aligned(rows, "id", ["v"]).orderBy("pos").collect()] == [(0, 3.0), (1, 7.0)]
+
+
+def test_all_land_uses():
+    from terrachron.functions import codes
+
+    assert len(set(codes.USES)) == 34 and codes.chosen_uses(("TODOS",)) == codes.USES and codes.chosen_uses(("OV",)) == ("OV",)
