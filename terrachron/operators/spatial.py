@@ -88,6 +88,27 @@ def chronology_overlay(boxes: DataFrame, years: list[int], value: str, *, size:
     return cells.groupBy(*(f"y{y}" for y in years)).agg((F.count(F.lit(1)) * size * size).alias("area"))
 
 
+def chronology_inner(boxes: DataFrame, years: list[int], value: str, *, size: int = 2) -> DataFrame:
+    """crono (the years' values joined by _), area of the pieces that have a value in every year: one grouping by cell in place of a chain of joins."""
+    found = chronology_overlay(boxes, years, value, size=size)
+    columns = [f"y{y}" for y in years]
+    whole = found.dropna(subset=columns)
+    return whole.select(F.concat_ws("_", *columns).alias("crono"), "area")
+
+
+def holding(points: DataFrame, boxes: DataFrame, key: str, *, size: int = 50) -> DataFrame:
+    """Points (x, y) with the key of each box that holds them, its lower and left edges included. They meet on coarse cells."""
+    cells = in_cells(boxes.select(key, *BOX), size).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+    at = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
+    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    return at.join(cells, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy", *BOX)
+
+
+def cleaned(boxes: DataFrame, key: str) -> DataFrame:
+    """Without slivers, overlaps and repeated geometries."""
+    return first_by_geometry(without_overlaps(compact(boxes), key), key)
+
+
 def largest_overlap(regions: DataFrame, tiles: DataFrame, key: str, tile: str, size: int = 50) -> DataFrame:
     """Each region's tile with the largest common area; the first by name on a tie."""
     met = overlapping(regions, tiles, size)

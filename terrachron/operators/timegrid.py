@@ -45,6 +45,16 @@ def missing_dates(items: DataFrame, key: str, start: str, end: str, step: int =
     return grid.join(within, [key, "ts"], "left_anti")
 
 
+def with_missing_frames(frames: DataFrame, keys: list[str], start: str, end: str, bands: list[str], step: int = STEP_DAYS) -> DataFrame:
+    """frames(keys, ts, bands, scl) and, for each place and each day of the grid that it has no frame on, one of zeros with scl 0, which masks take for no clear ground."""
+    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.make_dt_interval(F.lit(step)))
+    spine = frames.select(*keys).distinct().withColumn("ts", F.explode(days))
+    absent = spine.join(frames.select(*keys, "ts"), [*keys, "ts"], "left_anti")
+    kinds = dict(frames.dtypes)
+    zeros = absent.select(*keys, "ts", *(F.lit(0).cast(kinds[c]).alias(c) for c in (*bands, "scl")))
+    return frames.select(*keys, "ts", *bands, "scl").unionByName(zeros)
+
+
 def batches(spark: SparkSession, start: str, end: str, days: int, cut: str) -> DataFrame:
     """first, last: ranges of at most `days` days, none across the cut; each starts the day after the one before it ends."""
     sql = f"""

@@ -18,6 +18,25 @@ def valid_version(start: Column, end: Column, first: Column, last: Column) -> Co
     return (start <= last) & (end.between(first, last) | end.isNull())
 
 
+def valid_pairs(versions: list[tuple[Column, Column]], first: Column, last: Column) -> Column:
+    """Every (start, end) of a row is valid, as for a parcel and its geometry."""
+    valid = F.lit(True)
+    for start, end in versions:
+        valid = valid & valid_version(start, end, first, last)
+    return valid
+
+
+def closed(end: Column, year: Column) -> Column:
+    """Day a version ends; the last day of the year for one that is open."""
+    return F.coalesce(end.cast("date"), F.make_date(year, F.lit(12), F.lit(31)))
+
+
+def with_geometry(rows: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """Rows that have a geometry, with their days as text (yyyy-MM-dd), as files of areas hold them."""
+    kept = rows.filter(F.col(geometry).isNotNull())
+    return kept.select(*(F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in kept.dtypes))
+
+
 def valid_line(start: Column, end: Column, first: Column, last: Column, *, mode: str = "frame") -> Column:
     """The same for declaration lines; in 'frame' mode open lines count whenever they began."""
     return ((start <= last) & end.between(first, last)) | end.isNull() if mode == "frame" else (start <= last) & (end.between(first, last) | end.isNull())

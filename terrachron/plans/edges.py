@@ -8,6 +8,7 @@ from ..operators import polygons as pg
 from ..sources import sinks
 from ..sources.provinces import TABLE, provinces
 from ..streaming import windows as win
+from . import runs  # noqa: F401  registers its queries
 from . import standins as st
 from .catalog import ORACLES, QUERIES, query
 from .standins import rounded, rounded_sql

@@ -74,6 +74,19 @@ PLOTS = """
 plots as (select s_suppkey lid, cast(2 * ((s_suppkey * 53) % 500) as double) x1, cast(2 * ((s_suppkey * 29) % 500) as double) y1,
           cast(2 * ((s_suppkey * 53) % 500) + 2 * (10 + s_suppkey % 15) as double) x2, cast(2 * ((s_suppkey * 29) % 500) + 2 * (10 + s_suppkey % 15) as double) y2 from supplier)"""
 
+_LINE_USE = "case s_suppkey % 8 " + " ".join(f"when {k} then '{u}'" for k, u in enumerate(USES)) + " end"
+_LINE = (f"{_LINE_USE} as use_", "case when s_suppkey % 17 <> 0 then s_suppkey * 7 % 351 end as product", "case when s_suppkey % 7 <> 0 then cast(s_suppkey % 200 as varchar(9)) end as incidence")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots with the use, product and incidence of their declaration."""
+    told = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as lid", *_LINE)
+    return plots(spark, sf_dir).join(told.withColumnRenamed("use_", "use"), "lid")
+
+
+LINES = PLOTS + f""",
+lines as (select plots.*, use_ "use", product, incidence from plots join (select s_suppkey lid, {', '.join(_LINE)} from supplier) using (lid))"""
+
 _USE = "case (l_partkey + l_linenumber) % 8 " + " ".join(f"when {k} then '{u}'" for k, u in enumerate(USES)) + " end"
 _PRODUCT = "case when l_suppkey % 17 <> 0 then l_partkey % 351 end"
 _INCIDENCE = "case when l_orderkey % 7 <> 0 then concat(cast(l_orderkey % 200 as varchar(9)), ',', cast(l_partkey % 11 as varchar(9))) end"
