@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WORDS_PER_SHINGLE = 5
 SIMILARITY = 0.8
+ROWS_A_TASK = 20_000  # of rows that are a few numbers
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,8 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return ours
 
 
-def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back, so a lost executor costs no recomputation. rows: df is made from small rows, about so many, and takes no more tasks than these are worth, whatever the number of shuffle partitions; their number grows with the rows."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")

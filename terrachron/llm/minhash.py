@@ -182,14 +182,14 @@ def by_place(nodes: DataFrame) -> DataFrame:
     return nodes.select(*(c for c in nodes.columns if c != "places"), F.inline("places"))
 
 
-def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Open entries, with n and own, less those whose document can't be similar to one of another component in its bucket, whatever that one's size."""
+def within_reach(open_: DataFrame, sets: DataFrame, similarity: float, rows: int) -> DataFrame:
+    """Open entries, `rows` of them, with n and own, less those whose document can't be similar to one of another component in its bucket, whatever that one's size."""
     told = own_shingles(sets, open_.select("node", "component").distinct())
-    sized = written(by_place(by_node(open_.drop("n", "own")).join(told, "node")), "minhash-sized")
-    least = written(sized.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("n").alias("least_n")), "minhash-least")
+    sized = written(by_place(by_node(open_.drop("n", "own")).join(told, "node")), "minhash-sized", rows=rows)
+    least = written(sized.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("n").alias("least_n")), "minhash-least", rows=rows)
     most_shared = F.col("n") - F.col("own")
     able = most_shared * (1 + similarity) >= similarity * (F.col("n") + F.greatest("least_n", most_shared)) - 1e-6
-    return written(joined(sized, least, "bucket").filter(able).drop("least_n"), "minhash-open")
+    return written(joined(sized, least, "bucket").filter(able).drop("least_n"), "minhash-open", rows=rows)
 
 
 def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
@@ -207,27 +207,29 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
     found = told.filter(F.col("similarity") >= similarity).select("a", "b")
     groups = components(found)
     to_first = told.select(F.col("a").alias("first"), F.col("b").alias("node"), F.col("similarity").alias("to_first"))
-    open_ = still_open(full.join(to_first, ["first", "node"], "left").select("bucket", "node", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("to_first")).alias("to_first")), groups)
-    if open_.isEmpty():
+    open_ = still_open(full.join(to_first, ["first", "node"], "left").select("bucket", "node", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("to_first")).alias("to_first")), groups, full.count())
+    n = open_.count()
+    if not n:
         return found, groups
 
-    open_, before = within_reach(open_, sets, similarity), float("inf")
+    open_, before = within_reach(open_, sets, similarity, n), float("inf")
     for round_ in range(STAR_ROUNDS + 1):
-        open_ = still_open(open_.drop("component"), groups)
-        if open_.isEmpty():
+        open_ = still_open(open_.drop("component"), groups, n)
+        n = open_.count()
+        if not n:
             break
         central = F.struct(F.col("own") / F.col("n"), F.xxhash64("node")) if round_ % 2 == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(round_)))
         sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("count"), F.min_by("node", central).alias("centre"))
         most = sizes.groupBy("bucket").agg(F.sum("count").alias("entries"), F.sum(F.col("count") * F.col("count")).alias("nn"), F.max_by(F.struct("component", "centre"), F.struct("count", "component")).alias("top"))
-        most = written(most.select("bucket", "entries", "nn", F.col("top.component").alias("largest"), "top.centre"), "minhash-sizes")
+        most = written(most.select("bucket", "entries", "nn", F.col("top.component").alias("largest"), "top.centre"), "minhash-sizes", rows=n)
         apart = most.agg(F.sum((F.col("entries") * F.col("entries") - F.col("nn")) / 2)).first()[0]
         final = round_ == STAR_ROUNDS or apart <= FEW_PAIRS or apart > (1 - STAR_GAIN) * before
         before = apart
         if final:
             if apart > FEW_PAIRS:
-                open_ = within_reach(open_, sets, similarity)
+                open_ = within_reach(open_, sets, similarity, n)
             # a pair is drawn in the least bucket that both are open in; where that one rules it out, no other need be asked
-            at = written(by_place(by_node(open_).withColumn("buckets", F.col("places.bucket"))), "minhash-final")
+            at = written(by_place(by_node(open_).withColumn("buckets", F.col("places.bucket"))), "minhash-final", rows=n)
             left, right = (at.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "to_first", "component", "n", "own", "buckets"))) for s in "ab")
             once = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
             shared_at_most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
@@ -235,7 +237,7 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
             tried = left.join(right.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & near & once).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         else:
             tried = joined(open_, most.drop("nn"), "bucket").filter("component <> largest").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-        tried = written(tried.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
+        tried = written(tried.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs", rows=None if final else n)
         more = written(verify(tried, sets, small=2 * tried.count() <= SMALL_IDS), "minhash-verified")
         told = told.union(more)
         new = more.filter(F.col("similarity") >= similarity).select("a", "b")
@@ -247,12 +249,12 @@ def links(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -
     return found, groups
 
 
-def still_open(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries of the buckets that have more than one component, with their component."""
+def still_open(entries: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
+    """Entries, of `rows`, of the buckets that have more than one component, with their component."""
     at = by_node(entries).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    at = written(by_place(at), "minhash-at")
+    at = written(by_place(at), "minhash-at", rows=rows)
     several = at.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket", "entries")
-    return written(joined(at, written(several, "minhash-several"), "bucket"), "minhash-open")
+    return written(joined(at, written(several, "minhash-several", rows=rows), "bucket"), "minhash-open", rows=rows)
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
