@@ -46,7 +46,8 @@ def overlapping(left: DataFrame, right: DataFrame, size: int = 50) -> DataFrame:
     a = in_cells(left, size).select("cx", "cy", *(F.col(c).alias(f"a_{c}") for c in left.columns))
     b = in_cells(right, size).select("cx", "cy", *(F.col(c).alias(f"b_{c}") for c in right.columns))
     here = (F.floor(F.greatest("a_x1", "b_x1") / size) == F.col("cx")) & (F.floor(F.greatest("a_y1", "b_y1") / size) == F.col("cy"))
-    return a.join(b, ["cx", "cy"]).filter(here).withColumn("common", common_area()).filter("common > 0").drop("cx", "cy")
+    # a list of cells is longer than its boxes let Spark expect, so it is never broadcast
+    return a.join(b.hint("merge"), ["cx", "cy"]).filter(here).withColumn("common", common_area()).filter("common > 0").drop("cx", "cy")
 
 
 def without_overlaps(boxes: DataFrame, key: str = "id", *, share: float = 0.01, size: int = 50) -> DataFrame:
@@ -75,11 +76,50 @@ def covered_cells(boxes: DataFrame, size: int = 2) -> DataFrame:
     return boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
 
 
+def shape_classes(boxes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """members(key, _first) and shapes(_first, box): keys of the same boxes, each as often, are a class, named by its first key. Rows without a key are passed over."""
+    of_key = boxes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*BOX))).alias("_shape"))
+    of_shape = of_key.groupBy("_shape").agg(F.min(key).alias("_first"))
+    return of_key.join(of_shape, "_shape").select(key, "_first"), of_shape.select("_first", F.inline("_shape"))
+
+
 def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *, how: str = "full", size: int = 2) -> DataFrame:
-    """Pieces of a union ('full') or intersection ('inner') overlay with their areas; a side that a piece lacks is null."""
-    a = covered_cells(left, size).select(left_key, "cx", "cy")
-    b = covered_cells(right, size).select(right_key, "cx", "cy")
-    return a.join(b, ["cx", "cy"], how).groupBy(left_key, right_key).agg((F.count(F.lit(1)) * size * size).alias("area"))
+    """Pieces of a union ('full') or intersection ('inner') overlay of boxes aligned to the grid, with their areas; a side that a piece lacks is null.
+
+    Keys of equal boxes are overlaid once, as a class; common cells are counted from the corners, and the pairs of classes get their keys by joins, so no cell of a pair is ever listed.
+    """
+    keys = [left_key, right_key]
+    left, right = (on_grid(x, key, size) for x, key in ((left, left_key), (right, right_key)))
+    (a_members, a), (b_members, b) = shape_classes(left, left_key), shape_classes(right, right_key)
+    cells = F.sum("common").alias("_n")
+    met = overlapping(a, b, 32).groupBy("a__first", "b__first").agg(cells)
+    both = met.join(a_members.withColumnRenamed("_first", "a__first"), "a__first").join(b_members.withColumnRenamed("_first", "b__first"), "b__first").select(*keys, "_n")
+    # rows without a key, and what one side lacks, meet under the same null
+    named = [F.col(f"a_{left_key}").alias(left_key), F.col(f"b_{right_key}").alias(right_key)]
+    no_left, no_right = F.col(left_key).isNull(), F.col(right_key).isNull()
+    lone = [overlapping(left.filter(no_left), right, 32).groupBy(*named).agg(cells), overlapping(left.filter(~no_left), right.filter(no_right), 32).groupBy(*named).agg(cells)]
+    if how == "full":
+        for boxes, shapes, members, key, others in ((left, a, a_members, left_key, right), (right, b, b_members, right_key, left)):
+            bare = bare_cells(shapes, "_first", others).join(members, "_first").select(key, "_n")
+            bare = bare.unionByName(bare_cells(boxes.filter(F.col(key).isNull()), key, others))
+            lone.append(bare.select(*(F.col(k) if k == key else F.lit(None).cast(x.schema[k].dataType).alias(k) for k, x in ((left_key, left), (right_key, right))), "_n"))
+    rest = lone[0]
+    for x in lone[1:]:
+        rest = rest.unionByName(x)
+    found = both.unionByName(rest.groupBy(*keys).agg(F.sum("_n").alias("_n")))
+    return found.select(*keys, (F.col("_n") * size * size).alias("area"))
+
+
+def on_grid(boxes: DataFrame, key: str, size: int) -> DataFrame:
+    """key and box in whole cells, the upper bounds exclusive, of boxes that cover some."""
+    return boxes.select(key, *((F.col(c) / size).cast("long").alias(c) for c in BOX)).filter("x2 > x1 and y2 > y1")
+
+
+def bare_cells(boxes: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """key, _n: how many cells of the key's boxes (in whole cells) no other box covers."""
+    taken = covered_cells(others.select(*BOX).distinct(), 1).select("cx", "cy").distinct()
+    free = covered_cells(boxes, 1).select(key, "cx", "cy").join(taken.hint("merge"), ["cx", "cy"], "left_anti")
+    return free.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def chronology_overlay(boxes: DataFrame, years: list[int], value: str, *, size: int = 2) -> DataFrame:
