@@ -40,3 +40,13 @@ def test_overlay_lists_no_cells_of_pairs(spark):
     b = spark.range(200).selectExpr("id lid", "0d x1", "200d y1", "400d x2", "600d y2")
     rows = sp.overlay(a, b, "id", "lid").groupBy(F.col("id").isNull(), F.col("lid").isNull()).agg(F.count(F.lit(1)), F.min("area"), F.max("area")).collect()
     assert {tuple(r) for r in rows} == {(False, False, 60000, 80000, 80000), (False, True, 300, 80000, 80000), (True, False, 200, 80000, 80000)}
+
+
+def test_overlay_broadcasts_no_cells(spark):
+    """Lists of cells are longer than Spark expects, so a small table's cells must not go through the driver."""
+    a = spark.range(50).selectExpr("id", "0d x1", "0d y1", "40d x2", "40d y2")
+    b = spark.range(50).selectExpr("id lid", "2d * id x1", "0d y1", "2d * id + 900 x2", "900d y2")
+    found = sp.overlay(a, b, "id", "lid", how="inner")
+    assert found.count() == 50 * 20
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [c" in line]
