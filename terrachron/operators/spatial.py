@@ -51,11 +51,13 @@ def overlapping(left: DataFrame, right: DataFrame, size: int = 50) -> DataFrame:
 
 
 def without_overlaps(boxes: DataFrame, key: str = "id", *, share: float = 0.01, size: int = 50) -> DataFrame:
-    """Less every box that a box of at least its size covers by more than `share` of the smaller; of two equal ones both go."""
-    sized = boxes.withColumn("area", area())
-    met = overlapping(sized, sized, size)
-    gone = met.filter((F.col(f"a_{key}") != F.col(f"b_{key}")) & (F.col("common") > share * F.least("a_area", "b_area")) & (F.col("a_area") <= F.col("b_area")))
-    return boxes.join(gone.select(F.col(f"a_{key}").alias(key)).distinct(), key, "left_anti")
+    """Less every box that a box of at least its size covers by more than `share` of the smaller; of two equal ones both go. Boxes of equal geometry are compared once, with the least and the greatest of their keys."""
+    sized = boxes.groupBy(*BOX).agg(F.min(key).alias("least"), F.max(key).alias("greatest")).withColumn("area", area())
+    met = overlapping(sized, sized, size).filter((F.col("common") > share * F.least("a_area", "b_area")) & (F.col("a_area") <= F.col("b_area")))
+    over = met.groupBy(*(F.col(f"a_{c}").alias(c) for c in BOX)).agg(F.min("b_least").alias("_least"), F.max("b_greatest").alias("_greatest"))
+    # some box over this one has another key
+    gone = boxes.select(key, *BOX).join(over, list(BOX)).filter((F.col(key) != F.col("_least")) | (F.col(key) != F.col("_greatest")))
+    return boxes.join(gone.select(key).distinct(), key, "left_anti")
 
 
 def near(boxes: DataFrame, x1: float, y1: float, x2: float, y2: float, distance: float) -> DataFrame:

@@ -50,3 +50,19 @@ def test_overlay_broadcasts_no_cells(spark):
     assert found.count() == 50 * 20
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin [c" in line]
+
+
+def test_without_overlaps_of_copies_and_repeated_keys(spark):
+    rows = [(k % 37 if k % 9 else None, float(k * 11 % 60), float(k * 17 % 60), float(k * 11 % 60 + 4 + k % 5), float(k * 17 % 60 + 5 + k % 3)) for k in range(60)]
+    rows += rows[5:15] + [(100, 500.0, 500.0, 510.0, 510.0)] * 2 + [(101 + k, 700.0, 700.0, 710.0, 710.0) for k in range(2)]
+    size = lambda r: (r[3] - r[1]) * (r[4] - r[2])
+    side = lambda a, b, lo: max(0, min(a[lo + 2], b[lo + 2]) - max(a[lo], b[lo]))
+    gone = {a[0] for a in rows for b in rows if None not in (a[0], b[0]) and a[0] != b[0] and size(a) <= size(b) and side(a, b, 1) * side(a, b, 2) > 0.01 * size(a)}
+    got = sp.without_overlaps(spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double")).collect()
+    assert gone and sorted(map(tuple, got), key=repr) == sorted((r for r in rows if r[0] not in gone), key=repr)
+
+
+def test_without_overlaps_of_many_copies(spark):
+    """No row for each pair of 200,000 equal boxes."""
+    boxes = spark.range(200_000).selectExpr("id", "0d x1", "0d y1", "10d x2", "10d y2")
+    assert sp.without_overlaps(boxes).count() == 0
