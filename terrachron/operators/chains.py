@@ -26,7 +26,12 @@ def feature_indices(pixels: DataFrame, zones: DataFrame, key: str, start: str, e
     bands = {c: F.col(c) for c in pixels.columns if c.startswith("b")}
     seen = pixels.filter((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
     values = seen.select("x", "y", "day", *(spectral.masked(spectral.index(i, bands), F.col("scl"), cloud="zero").alias(i) for i in INDICES))
-    return sp.holding(values, zones, key).groupBy(key, "day").agg(*(CASTS[i](F.avg(i)).alias(i) for i in INDICES))
+    # features of the same boxes have the same means, which are worked out once
+    members, shapes = sp.shape_classes(zones, key)
+    means = sp.holding(values, shapes, "_first").groupBy("_first", "day").agg(*(CASTS[i](F.avg(i)).alias(i) for i in INDICES))
+    nameless = sp.holding(values, zones.filter(F.col(key).isNull()), key).groupBy(key, "day").agg(*(CASTS[i](F.avg(i)).alias(i) for i in INDICES))
+    columns = [key, "day", *INDICES]
+    return means.join(members, "_first").select(columns).unionByName(nameless.select(columns))
 
 
 def joined_indices(tables: dict[str, DataFrame], key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from terrachron.operators import chains
 from terrachron.operators import spatial as sp
 
 
@@ -66,3 +67,33 @@ def test_without_overlaps_of_many_copies(spark):
     """No row for each pair of 200,000 equal boxes."""
     boxes = spark.range(200_000).selectExpr("id", "0d x1", "0d y1", "10d x2", "10d y2")
     assert sp.without_overlaps(boxes).count() == 0
+
+
+def test_feature_indices_of_copies(spark):
+    """Features of equal boxes, with two boxes, of overlapping boxes and without a key: means by plain loops."""
+    boxes = [(k, 0, 0, 10, 10) for k in range(5)] + [(7, 0, 0, 10, 10), (7, 5, 5, 15, 15), (8, 5, 5, 15, 15), (8, 0, 0, 10, 10), (None, 5, 5, 60, 60), (None, 0, 0, 10, 10), (9, 500, 500, 510, 510)]
+    points = [(float(k * 7 % 20), float(k * 3 % 20), f"2020-01-0{1 + k % 3}", 4, 1000.0 + 37 * k % 900, 2000.0 + 11 * k) for k in range(80)]
+    zones = spark.createDataFrame(boxes, "lid int, x1 double, y1 double, x2 double, y2 double".replace("double", "int"))
+    bands = [f"b{k:02d}" for k in range(1, 13)]
+    pixels = spark.createDataFrame(points, "x double, y double, d string, scl int, red double, nir double").withColumn("day", F.to_date("d"))
+    pixels = pixels.select("x", "y", "day", "scl", *(F.col("nir" if b == "b08" else "red").alias(b) for b in bands))
+    got = chains.feature_indices(pixels, zones, "lid", "2020-01-01", "2020-01-03").collect()
+    one = {(r["x"], r["y"], str(r["day"])): r for r in pixels.collect()}
+    days = {}
+    for lid, x1, y1, x2, y2 in boxes:
+        for x, y, day, *_ in points:
+            if x1 <= x < x2 and y1 <= y < y2 and day < "2020-01-03":
+                days.setdefault((lid, day), []).append((x, y, day))
+    assert len(got) == len(days) and {(r["lid"], str(r["day"])) for r in got} == set(days) and one
+    same = {}
+    for r in got:
+        same.setdefault((str(r["day"]), tuple(sorted(days[r["lid"], str(r["day"])]))), set()).add((r["ndvi"], r["ar"], r["as1"]))
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_feature_indices_of_many_copies(spark):
+    """40,000 equal features over 40,000 pixels: no row for each pair of the two."""
+    zones = spark.range(40_000).selectExpr("id lid", "0 x1", "0 y1", "10 x2", "10 y2")
+    pixels = spark.range(40_000).selectExpr("5 x", "5 y", "date'2020-01-01' day", "4 scl", *(f"cast(1000 + id % 7 as double) b{k:02d}" for k in range(1, 13)))
+    rows = chains.feature_indices(pixels, zones, "lid", "2020-01-01", "2020-01-03")
+    assert rows.groupBy("day", "ndvi", "ar", "as1").count().collect()[0]["count"] == 40_000
