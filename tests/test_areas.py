@@ -97,3 +97,11 @@ def test_feature_indices_of_many_copies(spark):
     pixels = spark.range(40_000).selectExpr("5 x", "5 y", "date'2020-01-01' day", "4 scl", *(f"cast(1000 + id % 7 as double) b{k:02d}" for k in range(1, 13)))
     rows = chains.feature_indices(pixels, zones, "lid", "2020-01-01", "2020-01-03")
     assert rows.groupBy("day", "ndvi", "ar", "as1").count().collect()[0]["count"] == 40_000
+
+
+def test_declared_pieces_of_many_copies(spark):
+    """100,000 equal parcels go without a row for each pair of them; what stands alone stays."""
+    parcels = spark.range(100_000).selectExpr("id", *(f"cast(if(id < 99999, {lo}, {lo} + 100) as double) {c}" for c, lo in (("x1", 0), ("y1", 0), ("x2", 10), ("y2", 10))))
+    lines = spark.createDataFrame([(1, 104.0, 100.0, 124.0, 110.0, "OV", 101, "186")], "lid long, x1 double, y1 double, x2 double, y2 double, use string, product long, incidence string")
+    got = {tuple(r) for r in chains.declared_pieces(parcels, lines).select("id", "lid", "area").collect()}
+    assert got == {(99_999, 1, 60), (99_999, None, 40), (None, 1, 140)}
