@@ -36,7 +36,10 @@ from .common import file_stamp, small_batches, tokenizer_path
 SHARD_BYTES = 2 << 20
 SHARD_DOCS = 2048
 INDEX = np.dtype([("at", "<u8"), ("size", "<u8"), ("start", "<u8")])
-CACHE_ENTRIES = 600_000  # of chunks, and of pre-tokens; some 200 bytes each
+CACHE_ENTRIES = 900_000  # of chunks and pre-tokens together; some 200 bytes each
+TOLD_AT_ONCE = 1000  # pre-tokens for one call of the library, which is slower for long texts
+#: PRETOKEN for ASCII, in the faster module; 0x1c-0x1f aren't white space to either.
+ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
 
 
 class LibraryIds(dict):
@@ -61,38 +64,42 @@ class LibraryIds(dict):
         self.ends[[k for t, k in vocab.items() if t.endswith(end)]] = True
         self.special = {t.content: k.to_bytes(4, "little") for k, t in self.library.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
-        found = {c: PRETOKEN.findall(c) for c in chunks}
-        words = self.words
-        new = list({w for ws in found.values() for w in ws if w not in words})
-        if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+    def learn(self, chunks: list[str]) -> None:
+        """Keep the ids of chunks and of their pre-tokens, which are chunks too."""
+        # letters of ASCII alone are one pre-token
+        several = {c: (ASCII_PRETOKEN if c.isascii() else PRETOKEN).findall(c) for c in chunks if not (c.isascii() and c.isalpha())}
+        new = {c for c in chunks if c not in several}
+        new.update(w for ws in several.values() for w in ws if w not in self)
+        new = list(new)
+        for k in range(0, len(new), TOLD_AT_ONCE):
+            some = new[k : k + TOLD_AT_ONCE]
+            # the same ids as encode() gives, without offsets
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cuts) != len(new) + 1 or cuts[-1] != 4 * len(ids):
+            if len(cuts) != len(some) + 1 or cuts[-1] != 4 * len(ids):
                 raise ValueError("the library's ids do not part by ends of words")
             raw = ids.tobytes()
-            words.update((w, raw[a:b]) for w, a, b in zip(new, cuts, cuts[1:]))
-        self.update((c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in found.items())
+            self.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        of_chunk = self.__getitem__
+        self.update([(c, b"".join(map(of_chunk, ws))) for c, ws in several.items() if len(ws) != 1 or ws[0] != c])
+
+    def of_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts; null counts as empty. What is new in them is learned at once."""
+        parts = [self.split.split(t or "") if self.split else [t or ""] for t in texts]
+        chunked = [[part if k % 2 else chunks_of(normal(part)) for k, part in enumerate(p)] for p in parts]
+        new = [c for c in set().union(*[chunks for p in chunked for chunks in p[::2]]) if c not in self]
+        if new:
+            self.learn(new)
+        of_chunk = self.__getitem__
+        out = [b"".join([self.special[x] if k % 2 else b"".join(map(of_chunk, x)) for k, x in enumerate(p)]) for p in chunked]
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return out
 
     def of(self, text: str | None) -> bytes:
-        """Ids of a whole text; null counts as empty."""
-        out = []
-        for k, part in enumerate(self.split.split(text or "") if self.split else [text or ""]):
-            if k % 2:
-                out.append(self.special[part])
-            elif part:
-                chunks = chunks_of(normal(part))
-                try:
-                    out.append(b"".join(map(self.__getitem__, chunks)))
-                except KeyError:
-                    self.learn({c for c in chunks if c not in self})
-                    out.append(b"".join(map(self.__getitem__, chunks)))
-        for cache in (self, self.words):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-        return b"".join(out)
+        """Ids of one whole text."""
+        return self.of_all([text])[0]
 
 
 _LOADED: dict[str, LibraryIds] = {}
@@ -137,13 +144,13 @@ def write_token_files(docs: DataFrame, out: str, *, path: str | None = None, end
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([ids - first], pa.int64()), pa.array([name]), pa.array([keys], pa.list_(kind)), pa.array([np.array(index, INDEX).tobytes()], pa.binary()), pa.array([b"".join(frames)], pa.binary())], ["part", "shard", "first_id", "n_ids", "dict_sha256", "doc_ids", "index", "frames"])
 
-        kind, ids_of = None, library_ids(path).of
+        kind, ids_of = None, library_ids(path).of_all
         for b in batches:
             kind = b.column("doc_id").type
-            for doc, text in zip(b.column("doc_id"), b.column("text")):
-                raw = ids_of(text.as_py()) + end
+            for doc, raw in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text").to_pylist())):
+                raw += end
                 frame = z.compress(raw)
-                keys.append(doc.as_py())
+                keys.append(doc)
                 index.append((at, len(frame), ids - first))
                 frames.append(frame)
                 at += len(frame)
