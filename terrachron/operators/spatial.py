@@ -90,26 +90,24 @@ def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *,
 
     Keys of equal boxes are overlaid once, as a class; common cells are counted from the corners, and the pairs of classes get their keys by joins, so no cell of a pair is ever listed.
     """
-    keys = [left_key, right_key]
     left, right = (on_grid(x, key, size) for x, key in ((left, left_key), (right, right_key)))
     (a_members, a), (b_members, b) = shape_classes(left, left_key), shape_classes(right, right_key)
-    cells = F.sum("common").alias("_n")
-    met = overlapping(a, b, 32).groupBy("a__first", "b__first").agg(cells)
-    both = met.join(a_members.withColumnRenamed("_first", "a__first"), "a__first").join(b_members.withColumnRenamed("_first", "b__first"), "b__first").select(*keys, "_n")
-    # rows without a key, and what one side lacks, meet under the same null
-    named = [F.col(f"a_{left_key}").alias(left_key), F.col(f"b_{right_key}").alias(right_key)]
-    no_left, no_right = F.col(left_key).isNull(), F.col(right_key).isNull()
-    lone = [overlapping(left.filter(no_left), right, 32).groupBy(*named).agg(cells), overlapping(left.filter(~no_left), right.filter(no_right), 32).groupBy(*named).agg(cells)]
+    # rows without a key are a class without a name, as what one side lacks is
+    a, b = (shapes.unionByName(boxes.filter(F.col(key).isNull()).select(F.col(key).alias("_first"), *BOX)) for shapes, boxes, key in ((a, left, left_key), (b, right, right_key)))
+    pieces = overlapping(a, b, 32).groupBy(F.col("a__first").alias("_a"), F.col("b__first").alias("_b")).agg(F.sum("common").alias("_n"))
     if how == "full":
-        for boxes, shapes, members, key, others in ((left, a, a_members, left_key, right), (right, b, b_members, right_key, left)):
-            bare = bare_cells(shapes, "_first", others).join(members, "_first").select(key, "_n")
-            bare = bare.unionByName(bare_cells(boxes.filter(F.col(key).isNull()), key, others))
-            lone.append(bare.select(*(F.col(k) if k == key else F.lit(None).cast(x.schema[k].dataType).alias(k) for k, x in ((left_key, left), (right_key, right))), "_n"))
-    rest = lone[0]
-    for x in lone[1:]:
-        rest = rest.unionByName(x)
-    found = both.unionByName(rest.groupBy(*keys).agg(F.sum("_n").alias("_n")))
-    return found.select(*keys, (F.col("_n") * size * size).alias("area"))
+        no = {side: F.lit(None).cast(x.schema["_first"].dataType).alias(side) for side, x in (("_a", a), ("_b", b))}
+        bare = bare_cells(a, "_first", b).select(F.col("_first").alias("_a"), no["_b"], "_n").unionByName(bare_cells(b, "_first", a).select(no["_a"], F.col("_first").alias("_b"), "_n"))
+        pieces = pieces.unionByName(bare).groupBy("_a", "_b").agg(F.sum("_n").alias("_n"))
+    found = with_members(with_members(pieces, "_b", "_a", b_members), "_a", right_key, a_members)
+    return found.select(left_key, right_key, (F.col("_n") * size * size).alias("area"))
+
+
+def with_members(pieces: DataFrame, name: str, other: str, members: DataFrame) -> DataFrame:
+    """A row for each piece and key of the class that it names; null for a piece that names none. Those are dealt out by `other`. Members grow with the input, so they are never broadcast."""
+    named = members.select(F.col("_first").alias(name), F.expr("pmod(hash(_first), 1)").alias("_deal"), *(c for c in members.columns if c != "_first"))
+    dealt = pieces.withColumn("_deal", F.when(F.col(name).isNull(), F.pmod(F.hash(other), F.lit(1024))).otherwise(0))
+    return dealt.join(named.hint("merge"), [name, "_deal"], "left").drop("_deal")
 
 
 def on_grid(boxes: DataFrame, key: str, size: int) -> DataFrame:

@@ -105,3 +105,14 @@ def test_declared_pieces_of_many_copies(spark):
     lines = spark.createDataFrame([(1, 104.0, 100.0, 124.0, 110.0, "OV", 101, "186")], "lid long, x1 double, y1 double, x2 double, y2 double, use string, product long, incidence string")
     got = {tuple(r) for r in chains.declared_pieces(parcels, lines).select("id", "lid", "area").collect()}
     assert got == {(99_999, 1, 60), (99_999, None, 40), (None, 1, 140)}
+
+
+def test_overlay_broadcasts_no_members(spark):
+    """Keys of classes grow with the input, so they don't go through the driver, however small they are here."""
+    a = spark.range(50).selectExpr("id", "0d x1", "0d y1", "40d x2", "40d y2")
+    b = spark.range(50).selectExpr("id lid", "0d x1", "0d y1", "20d x2", "20d y2")
+    found = sp.overlay(a, b, "id", "lid", how="inner")
+    assert {tuple(r) for r in found.groupBy("area").count().collect()} == {(400, 2500)}
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lid" in plan and not [line for line in plan.split("Initial Plan")[0].splitlines() if "BroadcastHashJoin" in line and ("[_a" in line or "[_b" in line or "__first" in line)]
