@@ -116,3 +116,12 @@ def test_overlay_broadcasts_no_members(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "lid" in plan and not [line for line in plan.split("Initial Plan")[0].splitlines() if "BroadcastHashJoin" in line and ("[_a" in line or "[_b" in line or "__first" in line)]
+
+
+def test_declared_pieces_has_a_short_plan(spark):
+    """The plan is held by the driver and worked on before the first task: few scans of each table."""
+    parcels = spark.range(20).selectExpr("id", "cast(40 * id as double) x1", "0d y1", "cast(40 * id + 20 as double) x2", "20d y2")
+    lines = parcels.selectExpr("id lid", "x1", "y1", "x2", "y2", "'OV' use", "id product", "'186' incidence")
+    found = chains.declared_pieces(parcels, lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 20") <= 45
+    assert {(r["id"], r["lid"], r["area"]) for r in found.collect()} == {(k, k, 400) for k in range(20)}
