@@ -158,6 +158,11 @@ class Chunks(dict):
                 self.words[piece] = found
         return found
 
+    def release(self) -> None:
+        """Empty the cache at the end of a task: its worker waits with what it holds, or goes on with another operator."""
+        self.clear()
+        self.words.clear()
+
     def __missing__(self, chunk: str):
         parts = [self.word(p) for p in PRETOKEN.findall(chunk)]
         if len(parts) == 1:
@@ -337,6 +342,7 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, segment_chars:
                 ids, tokens, _, n = columns(t.as_py(), path)
                 got.append((" ".join(ids), " ".join(tokens), sum(n)))
             yield rows(b.column("doc_id"), got)
+        loaded(path)[1].release()
 
     def cut(batches):
         for b in batches:
